@@ -67,7 +67,7 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
 
 def read_back(formatted: Column) -> Column:
     """array<struct<role, text>> of the original turns, from the formatted string alone."""
-    blocks = F.slice(F.split(formatted, r"<\|turn\|>"), 2, F.lit(2147483647))
+    blocks = F.split(F.substring(formatted, len(TURN) + 1, 2147483647), r"<\|turn\|>")
 
     def turns(block: Column) -> Column:
         role = unescaped(F.split_part(block, F.lit(TEXT), F.lit(1)))

@@ -128,6 +128,11 @@ def _features(kind: str, x: Column) -> Column:
     )
 
 
+def _featurer(generator: str):
+    kind = generator.rpartition("_")[0]
+    return lambda x: _features(kind, x)
+
+
 def _generators() -> dict[str, str]:
     return {f"{kind}_{i}": p for kind, patterns in GENERATORS.items() for i, p in enumerate(patterns)}
 
@@ -217,7 +222,7 @@ def labelled_features(spark: SparkSession, rows: int = TRAIN_ROWS) -> tuple[np.n
     made = json.dumps([{"text": t, "y": y} for t, y in examples(rows)])
     table = spark.range(1).select(F.inline(F.from_json(F.lit(made), "array<struct<text:string,y:int>>")))
     spans = located(table, _generators())
-    cands = F.concat(*(F.transform(n, lambda x, k=n.rpartition("_")[0]: _features(k, x)) for n in _generators()))
+    cands = F.concat(*(F.transform(n, _featurer(n)) for n in _generators()))
     got = spans.select("y", F.explode(cands).alias("f")).collect()
     x = np.array([r.f for r in got], dtype=float)
     return x, np.array([r.y for r in got], dtype=float), x[:, -1].astype(int)
@@ -278,9 +283,6 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", t
         return F.transform(name, lambda x: F.struct(x.b.alias("b"), F.lit(order[kind]).alias("k"), x.e.alias("e"), _features(kind, x).alias("f")))
 
     spans = spans.select("doc_id", F.array_sort(F.concat(*(base(k) for k in BASE))).alias("base"), F.concat(*(featured(n) for n in _generators())).alias("cands"))
-    limit = F.lit(math.inf)
-    for kind, at in limits.items():
-        limit = F.when(F.col("x.k") == order[kind], F.lit(at)).otherwise(limit)
     overlaps = lambda x, y: (x.b < y.e) & (y.b < x.e)
 
     def scored(x: Column) -> Column:
@@ -309,5 +311,6 @@ def span_digest(found: DataFrame) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x.kind, x.b.cast("string"), x.e.cast("string"))), ",")
     rank = lambda x: F.array_position(F.array(*(F.lit(k) for k in KINDS)), x.kind)
     every = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x.b.alias("b"), rank(x).alias("k"), x.e.alias("e"), x.kind.alias("kind")))), lambda x: F.struct(x.kind.alias("kind"), x.b.alias("b"), x.e.alias("e")))
-    counts = [F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    count = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(kind) for kind in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("added").cast("long").alias("n_added"))
