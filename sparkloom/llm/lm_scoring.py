@@ -3,8 +3,8 @@
 The vocabulary is a public tokenizer's, the same for both models, and so are order and smoothing (Dirichlet-smoothed
 bigrams over add-one unigrams); the models differ only in the documents counted. Background: all documents. Target:
 the documents labelled good. The score is the mean over a document's tokens of target loss minus background loss, so
-low scores are close to the target (Moore and Lewis, 2010). A target document's own counts are taken out of both models
-before it is scored, so a document does not vouch for itself.
+low scores are close to the target (Moore and Lewis, 2010). A document's own counts are taken out of the models that hold them
+before it is scored, so no document vouches for itself.
 
 Tokens are written once, in blocks (a task's run of at most BLOCK_TOKENS). Each block hands on its distinct bigrams
 with their counts, so what is shuffled is combined first, and grows with the corpus; the sums by bigram are joined back
@@ -112,11 +112,11 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text: str =
     # bounded by the vocabulary: counts of tokens and of contexts
     mass = np.zeros((2, 2, size + 1), dtype=np.float64)  # model, (token, context), id
     for role, column in enumerate((F.col("key").bitwiseAND(F.lit((1 << 17) - 1)), F.shiftright("key", 17))):
-        for r in model.groupBy(column.alias("id")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).toLocalIterator():
+        for r in model.groupBy(column.alias("id")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("t")).collect():
             mass[0, role, r.id], mass[1, role, r.id] = r.n, r.t
     tables = spark.sparkContext.broadcast(mass)
 
-    needed = blocks.select("block", "key").join(model, "key").select("block", F.struct("key", "n", "n_target").alias("entry"), F.lit(None).cast("struct<doc_id:bigint,target:boolean,ids:binary>").alias("doc"))
+    needed = blocks.select("block", "key").join(model, "key").select("block", "key", "n", "n_target")
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("difference", pa.float64())])
 
     def score(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -135,18 +135,18 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, text: str =
             context = mine >> 17
             both = known[:, np.searchsorted(keys, mine)]
             token, seen = count[:, 0, text_ids], count[:, 1, context]
-            total = count[:, 0].sum(axis=1, keepdims=True)
-            if target:  # leave this document out
-                _, at, own = np.unique(mine, return_inverse=True, return_counts=True)
-                both = both - own[at]
-                token = token - np.bincount(text_ids, minlength=size + 1)[text_ids]
-                seen = seen - np.bincount(context, minlength=size + 1)[context]
-                total = total - n
+            # leave this document out: it is counted in the background, and in the target if it is labelled
+            out_of = np.array([[1.0], [float(target)]])
+            _, at, own = np.unique(mine, return_inverse=True, return_counts=True)
+            both = both - out_of * own[at]
+            token = token - out_of * np.bincount(text_ids, minlength=size + 1)[text_ids]
+            seen = seen - out_of * np.bincount(context, minlength=size + 1)[context]
+            total = count[:, 0].sum(axis=1, keepdims=True) - out_of * n
             unigram = (token + 1) / (total + size)
             loss = -np.log((both + dirichlet * unigram) / (seen + dirichlet)).mean(axis=1)
             out.append((one, n, float(loss[1]), float(loss[0]), float(loss[1] - loss[0])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], f.type) for f in schema], schema=schema)
 
-    left = needed.select("block", "entry.key", "entry.n", "entry.n_target").groupBy("block")
+    left = needed.groupBy("block")
     right = tokens.groupBy("block")
     return left.cogroup(right).applyInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")

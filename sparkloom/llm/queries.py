@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.chat_format import format_conversations, format_digest
 from sparkloom.llm.decontamination import contaminated
+from sparkloom.llm.license_scan import scan_licenses
 from sparkloom.llm.line_dedup import removed_lines
+from sparkloom.llm.lm_scoring import cross_entropy_difference
 from sparkloom.llm.packing import pack_documents
 from sparkloom.llm.pii import personal_data, span_digest
 from sparkloom.llm.quality_rules import quality_rules
@@ -38,6 +40,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(personal_data(table(spark, sf_dir, "documents")))
 
 
+@query("op2_cross_entropy_difference")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 @query("op3_simhash_pivots")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
@@ -78,3 +86,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op10_license_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"))
+    return scan_licenses(docs).withColumnRenamed("file_id", "doc_id")
