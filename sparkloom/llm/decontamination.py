@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import small_batches
+from sparkloom.llm.shared import small_batches, without_ids
 
 SIMILARITY = 0.8
 TARGET_RECALL = 0.99
@@ -262,3 +262,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     if block or not parts:
         parts.append(held_against(tuple(block)))
     return reduce(DataFrame.unionByName, parts)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """`docs` less the documents that contaminated() finds; columns pass through."""
+    return without_ids(docs, contaminated(docs, benchmark, text, doc_id, **options).select("doc_id"), doc_id)

@@ -141,3 +141,21 @@ def quality_rules(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", o
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(apply, f"doc_id long, {COLUMNS}")
+
+
+def keep_good(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: list[str] | None = None, sample_rows: int = 2000) -> DataFrame:
+    """The rows of `docs` that quality_rules() keeps, with all their columns, in one pass and without a join."""
+    order = rule_order(docs, text, doc_id, sample_rows) if order is None else order
+    small_batches(docs.sparkSession)
+    chain = [RULES[name] for name in order]
+    at = docs.columns.index(text)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x in batch.column(at).to_pylist():
+                t = Text(x)
+                good.append(not t.base_failed and not any(rule(t) for rule in chain))
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(apply, docs.schema)

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Ids in a list of documents to drop that may be broadcast (8 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
 #: Rows in an Arrow batch handed to Python, so that a batch of long texts stays small.
 ARROW_ROWS = 512
 
@@ -53,6 +55,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """`docs` less the rows whose id is in the one column of `ids`; a null there drops null ids."""
+    gone = written(ids.select(F.col(ids.columns[0]).cast("long").alias("__gone")).distinct(), "dropped-ids")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of `edges`; component is the smallest node reachable.
 

@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.shared import connected_components, small_batches, written
+from sparkloom.llm.shared import connected_components, small_batches, without_ids, written
 
 SHINGLE_WORDS = 5
 HASH_SEED = 42
-MAX_BITS = 3
+MAX_BITS = 7
 PIVOTS = 16
 TILE = 1024
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -190,3 +190,12 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     named = member.groupBy("component").agg(F.min("least").alias("component_id"))
     of_print = member.join(named, "component").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """`docs` less all documents of a near-duplicate group but the one with the smallest id.
+
+    Rows that share an id are one document. Null ids stay unless their group has an id. Columns pass through.
+    """
+    groups = simhash_components(docs, text, doc_id, shingle_words, max_bits)
+    return without_ids(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), doc_id)
