@@ -1 +1 @@
-
+"""Scalar families: text, bits, digests, alignment."""
