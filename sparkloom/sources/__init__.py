@@ -1 +1 @@
-
+"""Self-describing containers and documents as tables."""

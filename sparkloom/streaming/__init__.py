@@ -1 +1 @@
-
+"""Incremental runs of the check tables."""
