@@ -12,6 +12,7 @@ from sparkloom.llm.decontamination import contaminated
 from sparkloom.llm.license_scan import scan_licenses
 from sparkloom.llm.line_dedup import removed_lines
 from sparkloom.llm.lm_scoring import cross_entropy_difference
+from sparkloom.llm.oracles import ORACLES as ORACLES
 from sparkloom.llm.packing import pack_documents
 from sparkloom.llm.pii import personal_data, span_digest
 from sparkloom.llm.quality_rules import quality_rules
@@ -20,7 +21,6 @@ from sparkloom.llm.simhash_dedup import simhash_components
 from sparkloom.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(name: str):
