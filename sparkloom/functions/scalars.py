@@ -50,3 +50,29 @@ def gib(size: str | Column) -> Column:
 def forbidden(line: str | Column, patterns: list[str]) -> Column:
     """Whether a line matches any of the patterns, in either case."""
     return F.coalesce((F.col(line) if isinstance(line, str) else line).rlike("(?i)(" + "|".join(patterns) + ")"), F.lit(False))
+
+
+def first_middle_last(items: str | Column) -> Column:
+    """The first, middle and last element of an array, each once."""
+    c = F.col(items) if isinstance(items, str) else items
+    n = F.size(c)
+    return F.when(n > 0, F.array_distinct(F.array(F.element_at(c, 1), F.element_at(c, F.floor(n / 2).cast("int") + 1), F.element_at(c, -1)))).otherwise(F.slice(c, 1, 0))
+
+
+def tiled(items: str | Column, length: int) -> Column:
+    """An array repeated to exactly `length` elements; an empty one stays empty."""
+    c = F.col(items) if isinstance(items, str) else items
+    times = F.when(F.size(c) > 0, F.ceil(F.lit(length) / F.size(c)).cast("int")).otherwise(F.lit(0))
+    return F.slice(F.flatten(F.array_repeat(c, times)), F.lit(1), F.lit(length))
+
+
+def gathered(items: str | Column, positions: str | Column) -> Column:
+    """items[positions], 0-based; null where there is no such element."""
+    return F.transform(positions, lambda i: F.get(items, i))
+
+
+def number_statistics(values: str) -> list[Column]:
+    """Counts of NaN and infinities, and the extremes of finite values."""
+    c = F.col(values)
+    finite = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    return [F.count_if(F.isnan(c)).alias("nan"), F.count_if(c == float("inf")).alias("pos_inf"), F.count_if(c == float("-inf")).alias("neg_inf"), F.min(finite).alias("least"), F.max(finite).alias("most")]
