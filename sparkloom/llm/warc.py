@@ -121,11 +121,11 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     """The records on the chains of all archives under `path`: (page_id, url, payload_bytes, payload_digest, record_type, refers_to, sound, payload).
 
     sound: a response's payload has the length and digest that its header tells. payload is null unless asked for.
-    An archive whose chain breaks gives the records before the break.
+    An archive whose chain breaks gives the records before the break. A task holds the archives of one input partition,
+    at most spark.sql.files.maxPartitionBytes, or one larger archive.
     """
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "sound": pa.bool_(), "payload": pa.string()}
     schema = pa.schema(list(kinds.items()))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # an archive at a time
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
