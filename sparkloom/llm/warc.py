@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.shared import written
+
 MAGIC = b"WARC/1.1\r\n"
 #: An archive is closed after so many records, which bounds what a reading task holds.
 ARCHIVE_RECORDS = 4096
@@ -31,12 +33,11 @@ MIN_REVISIT_BYTES = 0
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a string's UTF-8, in Spark expressions."""
-    hexa = F.sha1(payload)
+def base32(sha1: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hexadecimal; it is read eight times, so it should be a column, not an expression."""
     out = []
     for group in range(8):
-        value = F.conv(F.substring(hexa, 5 * group + 1, 5), 16, 10).cast("int")
+        value = F.conv(F.substring(sha1, 5 * group + 1, 5), 16, 10).cast("int")
         out += [F.substring(F.lit(_ALPHABET), F.shiftright(value, shift).bitwiseAND(31) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
     return F.concat(*out)
 
@@ -50,11 +51,13 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("size", F.octet_length("html").cast("long"))
-    digests = rows.select("page_id", "size", base32_sha1(F.col("html")).alias("digest")).where(F.col("size") >= min_revisit_bytes)
+    rows = rows.withColumn("digest", F.sha1("html"))
+    digests = written(rows.select("page_id", "size", "digest").where(F.col("size") >= min_revisit_bytes), "payload-digests")
     first = digests.groupBy("digest", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select("digest", "refers_to")
     later = digests.where("page_id is not null").join(first, "digest").where("page_id <> refers_to").select("page_id", "refers_to", F.col("digest").alias("of")).distinct()
+    later = written(later, "revisits")
     later = F.broadcast(later) if later.count() <= BROADCAST_ROWS else later
-    rows = rows.withColumn("digest", base32_sha1(F.col("html"))).join(later.withColumnRenamed("page_id", "of_page"), (F.col("page_id") == F.col("of_page")) & (F.col("digest") == F.col("of")), "left")
+    rows = rows.join(later.withColumnRenamed("page_id", "of_page"), (F.col("page_id") == F.col("of_page")) & (F.col("digest") == F.col("of")), "left")
     revisit = F.col("refers_to").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -63,7 +66,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))), line("WARC-Record-ID", urn(F.col("page_id"))), F.lit("WARC-Date: 1970-01-01T00:00:00Z\r\n"), line("WARC-Target-URI", uri),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("refers_to"))))).otherwise(F.lit("")),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))), F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("refers_to"))))).otherwise(F.lit("")),
         F.lit("Content-Type: application/http;msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
     rows.select(F.concat(head, block).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
