@@ -60,7 +60,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fuzzy_lines")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    gone = removed_lines(docs)
+    gone = removed_lines(docs, max_bits=None)
     lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     joined = lines.join(gone, "doc_id", "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"))
