@@ -10,10 +10,14 @@ therefore meet on blocks: the fingerprint is cut into max_bits + 2 blocks and a
 them at least. Rows are dealt by the values of every two blocks, which keeps buckets small. A bucket over TILE
 rows is split into tiles of chunk pairs, so a group of near-copies of any size is spread over many tasks, and a tile
 hands on a spanning forest, not its pairs.
+
+A similarity of 0.8 in five-word shingles is about 9 to 10 bits, beyond what blocks can find, so one_of_each_group() can also
+link by exact Jaccard similarity (alike_links()): such texts share one of their first shingles in any one order.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from itertools import combinations
@@ -21,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import connected_components, small_batches, without_ids, written
@@ -34,17 +38,27 @@ TILE = 1024
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
-    """Bit i is set if it is set in over half the XXH64 values of the word shingles; no words: 0."""
+def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of the word shingles, one for each place; fewer words than a shingle make one of all words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     k = min(shingle_words, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - k + 1]
     digest, seed = xxhash.xxh64_intdigest, HASH_SEED
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
+    """Bit i is set if it is set in over half the XXH64 values of the word shingles; no words: 0."""
+    return majority(shingle_hashes(text, shingle_words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     seen = hashes.view(np.uint8).reshape(-1, 8).astype(np.int64)
     seen += np.arange(8, dtype=np.int64) * 256
     set_bits = (np.bincount(seen.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
@@ -192,10 +206,81 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+def _shingle_sets(docs: DataFrame, shingle_words: int, share: float | None) -> DataFrame:
+    """(id, fp, set_id, n, hashes) of texts with words: the distinct shingles in order; with `share`, only the first ones of which
+    texts that similar have one in common. docs: id, text."""
+    small_batches(docs.sparkSession)
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                every = shingle_hashes(text, shingle_words)
+                own = np.unique(every)
+                if len(own):
+                    first = len(own) if share is None else len(own) - math.ceil(share * len(own) - 1e-9) + 1
+                    rows.append((i, signed(majority(every)), signed(xxhash.xxh64_intdigest(own.tobytes(), HASH_SEED)), len(own), own[:first].view(np.int64)))
+            columns = [pa.array([r[c] for r in rows], schema.field(c).type) for c in range(5)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return docs.select("id", "text").mapInArrow(apply, "id long, fp long, set_id long, n long, hashes array<long>")
+
+
+def alike_links(docs: DataFrame, groups: DataFrame, similarity: float, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+    """(src, dst): links of the groups that hold texts of at least this Jaccard similarity; docs: id, text; groups: fp, label.
+
+    Only pairs in different groups are verified, first against the smallest set of each shingle, then the rest.
+    """
+    sets = _shingle_sets(docs, shingle_words, similarity).join(groups, "fp").groupBy("set_id", "label").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    by_key = Window.partitionBy("key")
+    keyed = sets.select(F.struct("set_id", "id").alias("at"), "label", "n", F.explode("hashes").alias("key"))
+
+    def mixed(rows: DataFrame, name: str) -> DataFrame:
+        """The rows of keys that hold several groups."""
+        several = F.min("label").over(by_key) < F.max("label").over(by_key)
+        return written(rows.withColumn("several", several).where("several").drop("several"), name)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """(src, dst) labels of the pairs (a, la, b, lb) of sets that are similar enough; a, b: set_id and an id that has it."""
+        pairs = written(pairs.distinct(), f"{name}-pairs")
+        ends = written(pairs.select("a.id").union(pairs.select("b.id")).distinct(), f"{name}-ends")
+        full = written(_shingle_sets(docs.join(ends, "id", "left_semi"), shingle_words, None).groupBy("set_id").agg(F.first("hashes").alias("hashes")), f"{name}-sets")
+        both = pairs.join(full.select(F.col("set_id").alias("i"), F.col("hashes").alias("x")), F.col("a.set_id") == F.col("i")).join(full.select(F.col("set_id").alias("j"), F.col("hashes").alias("y")), F.col("b.set_id") == F.col("j"))
+        shared = F.size(F.array_intersect("x", "y"))
+        good = shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9
+        return written(both.where(good).select(F.col("la").alias("src"), F.col("lb").alias("dst")).distinct(), name)
+
+    near = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
+    keyed = mixed(keyed, "shared-shingles")
+    low = F.min(F.struct("at", "label", "n")).over(by_key)
+    star = keyed.withColumn("low", low).where((F.col("low.label") != F.col("label")) & near(F.col("n"), F.col("low.n")))
+    found = verified(star.select(F.col("low.at").alias("a"), F.col("low.label").alias("la"), F.col("at").alias("b"), F.col("label").alias("lb")), "star-links")
+    joined = connected_components(found).checkpoint()
+    labelled = keyed.join(joined, keyed.label == joined.node, "left").drop("node").withColumn("label", F.coalesce("component", "label")).drop("component")
+    rest = mixed(labelled, "apart-shingles")
+    a, b = rest.alias("a"), rest.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & near(F.col("a.n"), F.col("b.n")))
+    later = verified(met.select(F.col("a.at").alias("a"), F.col("a.label").alias("la"), F.col("b.at").alias("b"), F.col("b.label").alias("lb")), "later-links")
+    return found.unionByName(later)
+
+
+def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, jaccard: float | None = None) -> DataFrame:
     """`docs` less all documents of a near-duplicate group but the one with the smallest id.
 
-    Rows that share an id are one document. Null ids stay unless their group has an id. Columns pass through.
+    With `jaccard`, texts whose sets of shingles are at least so similar are in one group too, whatever their fingerprints. Rows that
+    share an id are one document. Null ids stay unless their group has an id. Columns pass through.
     """
     groups = simhash_components(docs, text, doc_id, shingle_words, max_bits)
-    return without_ids(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), doc_id)
+    groups = groups if jaccard is None else written(groups, "groups")
+    if jaccard is None:
+        return without_ids(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), doc_id)
+    last = F.lit((1 << 63) - 1)  # a null id comes last
+    label = F.coalesce("component_id", last).alias("label")
+    own = groups.select(F.coalesce("doc_id", last).alias("id"), label).distinct()
+    of_print = groups.select(F.conv("fingerprint", 16, -10).cast("long").alias("fp"), label).distinct()
+    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), last).alias("id"), F.col(text).cast("string").alias("text"))
+    joined = connected_components(alike_links(texts, of_print, jaccard, shingle_words))
+    kept = own.join(joined, own.label == joined.node, "left").select("id", F.coalesce("component", "label").alias("label"))
+    gone = kept.where("id <> label").select(F.when(F.col("id") != last, F.col("id")).alias("id"))
+    return without_ids(docs, gone, doc_id)
