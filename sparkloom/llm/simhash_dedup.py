@@ -12,7 +12,7 @@ rows is split into tiles of chunk pairs, so a group of near-copies of any size i
 hands on a spanning forest, not its pairs.
 
 A similarity of 0.8 in five-word shingles is about 9 to 10 bits, beyond what blocks can find, so one_of_each_group() can also
-link by exact Jaccard similarity (alike_links()): such texts share one of their first shingles in any one order.
+link by exact Jaccard similarity (alike_links()): such texts share some of their first shingles in any one order.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ HASH_SEED = 42
 MAX_BITS = 7
 PIVOTS = 16
 TILE = 1024
+#: A candidate by shingles shares one first shingle more for every so many; passages in common do not make one.
+COMMON = 20
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -208,7 +210,7 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
 
 def _shingle_sets(docs: DataFrame, shingle_words: int, share: float | None) -> DataFrame:
     """(id, fp, set_id, n, hashes) of texts with words: the distinct shingles in order; with `share`, only the first ones of which
-    texts that similar have one in common. docs: id, text."""
+    texts that similar have 1 + n // COMMON in common, n of the smaller. docs: id, text."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
@@ -219,7 +221,7 @@ def _shingle_sets(docs: DataFrame, shingle_words: int, share: float | None) -> D
                 every = shingle_hashes(text, shingle_words)
                 own = np.unique(every)
                 if len(own):
-                    first = len(own) if share is None else len(own) - math.ceil(share * len(own) - 1e-9) + 1
+                    first = len(own) if share is None else len(own) - math.ceil(share * len(own) - 1e-9) + 1 + len(own) // COMMON
                     rows.append((i, signed(majority(every)), signed(xxhash.xxh64_intdigest(own.tobytes(), HASH_SEED)), len(own), own[:first].view(np.int64)))
             columns = [pa.array([r[c] for r in rows], schema.field(c).type) for c in range(5)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -243,7 +245,8 @@ def alike_links(docs: DataFrame, groups: DataFrame, similarity: float, shingle_w
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """(src, dst) labels of the pairs (a, la, b, lb) of sets that are similar enough; a, b: set_id and an id that has it."""
-        pairs = written(pairs.distinct(), f"{name}-pairs")
+        often = pairs.groupBy("a", "la", "b", "lb").agg(F.count("*").alias("shared"), F.min("least").alias("least"))
+        pairs = written(often.where("shared > least div %d" % COMMON).select("a", "la", "b", "lb"), f"{name}-pairs")
         ends = written(pairs.select("a.id").union(pairs.select("b.id")).distinct(), f"{name}-ends")
         full = written(_shingle_sets(docs.join(ends, "id", "left_semi"), shingle_words, None).groupBy("set_id").agg(F.first("hashes").alias("hashes")), f"{name}-sets")
         both = pairs.join(full.select(F.col("set_id").alias("i"), F.col("hashes").alias("x")), F.col("a.set_id") == F.col("i")).join(full.select(F.col("set_id").alias("j"), F.col("hashes").alias("y")), F.col("b.set_id") == F.col("j"))
@@ -255,13 +258,13 @@ def alike_links(docs: DataFrame, groups: DataFrame, similarity: float, shingle_w
     keyed = mixed(keyed, "shared-shingles")
     low = F.min(F.struct("at", "label", "n")).over(by_key)
     star = keyed.withColumn("low", low).where((F.col("low.label") != F.col("label")) & near(F.col("n"), F.col("low.n")))
-    found = verified(star.select(F.col("low.at").alias("a"), F.col("low.label").alias("la"), F.col("at").alias("b"), F.col("label").alias("lb")), "star-links")
+    found = verified(star.select(F.col("low.at").alias("a"), F.col("low.label").alias("la"), F.col("at").alias("b"), F.col("label").alias("lb"), F.least("n", "low.n").alias("least")), "star-links")
     joined = connected_components(found).checkpoint()
     labelled = keyed.join(joined, keyed.label == joined.node, "left").drop("node").withColumn("label", F.coalesce("component", "label")).drop("component")
     rest = mixed(labelled, "apart-shingles")
     a, b = rest.alias("a"), rest.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & near(F.col("a.n"), F.col("b.n")))
-    later = verified(met.select(F.col("a.at").alias("a"), F.col("a.label").alias("la"), F.col("b.at").alias("b"), F.col("b.label").alias("lb")), "later-links")
+    later = verified(met.select(F.col("a.at").alias("a"), F.col("a.label").alias("la"), F.col("b.at").alias("b"), F.col("b.label").alias("lb"), F.least("a.n", "b.n").alias("least")), "later-links")
     return found.unionByName(later)
 
 
