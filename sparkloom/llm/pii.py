@@ -26,6 +26,8 @@ TREES, DEPTH, RATE = 30, 3, 0.3
 #: Share of right ones among the calibration examples that a kind's threshold keeps.
 PRECISION = 0.99
 CONTEXT = 24
+#: Beyond so many characters a random secret has all its alphabet's characters, so their share is taken of these.
+LONG = 200.0
 BLOCK = 256
 
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -39,8 +41,8 @@ BASE = {
 #: kind -> generators; kinds stand after the base ones where spans start together.
 GENERATORS = {
     "secret": (
-        r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20\x22']{0,3}[:=][\x20\x22']{0,3}[^\s\x22',;]{6,200}",
-        r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,200}[0-9])[A-Za-z0-9_/+-]{16,200}(?![A-Za-z0-9_/+-])",
+        r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20\x22']{0,3}[:=][\x20\x22']{0,3}[^\s\x22',;]{6,}+",
+        r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+",
     ),
     "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",),
     "national_id": (r"(?<![0-9.-])[0-9]{3}[\x20-][0-9]{2}[\x20-][0-9]{4}(?![0-9.-])",),
@@ -123,7 +125,7 @@ def _features(kind: str, x: Column) -> Column:
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
     flag = lambda c: c.cast("int").cast("double")
     return F.array(
-        n, share("[0-9]"), share("[A-Z]"), share("[0-9a-fA-F]"), share("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])"), F.size(F.array_distinct(F.split(v, ""))) / n, share("[^A-Za-z0-9]"),
+        n, share("[0-9]"), share("[A-Z]"), share("[0-9a-fA-F]"), share("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])"), F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(LONG)), share("[^A-Za-z0-9]"),
         flag(around.rlike(_KEYWORDS)), flag(around.rlike(_ACCOUNT)), flag(around.rlike(_NEUTRAL)), flag(v.rlike("^(?:AKIA|ASIA|ghp_|sk-|xox|eyJ|AIza)")), flag(v.rlike("[:=]")), F.lit(float(list(GENERATORS).index(kind))),
     )
 
