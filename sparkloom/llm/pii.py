@@ -38,10 +38,12 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What stands before a secret that is named.
+_NAMED = r"\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20\x22']{0,3}[:=]"
 #: kind -> generators; kinds stand after the base ones where spans start together.
 GENERATORS = {
     "secret": (
-        r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\x20\x22']{0,3}[:=][\x20\x22']{0,3}[^\s\x22',;]{6,}+",
+        rf"(?i){_NAMED}[\x20\x22']{{0,3}}[^\s\x22',;]{{6,}}+",
         r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+",
     ),
     "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",),
@@ -49,7 +51,7 @@ GENERATORS = {
     "email_spelled": (r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{1,63}){1,8}",),
 }
 KINDS = [*BASE, *GENERATORS]
-GATE = r"(?i)[0-9@]|[(\[]at[)\]]"
+GATE = rf"(?i)[0-9@]|[(\[]at[)\]]|{_NAMED}"
 _KEYWORDS = r"(?i)pass|pwd|token|secret|key|auth|credential"
 _ACCOUNT = r"(?i)ssn|social|security|iban|account|konto|compte|cuenta|bank|mail|contact|write"
 _NEUTRAL = r"(?i)commit|sha|version|order|isbn|serial|model|file|img|part|build|date|item|hash"
