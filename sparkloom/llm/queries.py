@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.chat_format import format_conversations, format_digest
 from sparkloom.llm.decontamination import contaminated
 from sparkloom.llm.license_scan import scan_licenses
-from sparkloom.llm.line_dedup import removed_lines
+from sparkloom.llm.line_dedup import BLOCKS, removed_lines
 from sparkloom.llm.lm_scoring import cross_entropy_difference
 from sparkloom.llm.oracles import ORACLES as ORACLES
 from sparkloom.llm.packing import pack_documents
@@ -60,7 +60,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_fuzzy_lines")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    gone = removed_lines(docs, max_bits=None, short_lines=True)
+    gone = removed_lines(docs, blocks=BLOCKS, short_lines=True)
     lines = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
     joined = lines.join(gone, "doc_id", "left")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"))
