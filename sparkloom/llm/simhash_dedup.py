@@ -12,12 +12,11 @@ rows is split into tiles of chunk pairs, so a group of near-copies of any size i
 hands on a spanning forest, not its pairs.
 
 A similarity of 0.8 in five-word shingles is about 9 to 10 bits, beyond what blocks can find, so one_of_each_group() can also
-link by exact Jaccard similarity (alike_links()): such texts share some of their first shingles in any one order.
+link by exact Jaccard similarity (alike_links()): such texts agree on a key of some band of min-wise hashes.
 """
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Iterator
 from itertools import combinations
@@ -25,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import connected_components, small_batches, without_ids, written
@@ -35,8 +34,9 @@ HASH_SEED = 42
 MAX_BITS = 7
 PIVOTS = 16
 TILE = 1024
-#: A candidate by shingles shares one first shingle more for every so many; passages in common do not make one.
-COMMON = 20
+#: Texts at a Jaccard similarity of 0.8 agree on a key of one of 16 bands of 4 with probability 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
+BANDS, BAND_ROWS = 16, 4
+FAR_BITS = 24
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -208,21 +208,38 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _shingle_sets(docs: DataFrame, shingle_words: int, share: float | None) -> DataFrame:
-    """(id, fp, set_id, n, hashes) of texts with words: the distinct shingles in order; with `share`, only the first ones of which
-    texts that similar have 1 + n // COMMON in common, n of the smaller. docs: id, text."""
+def _multipliers() -> np.ndarray:
+    draw = np.random.default_rng(HASH_SEED)
+    return draw.integers(0, 1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of shingles: each mixes the least values of BAND_ROWS hash functions."""
+    least = np.full(len(by), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for a in range(0, len(hashes), 4096):
+        x = hashes[a : a + 4096, None] * by[None, :]
+        least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
+def _shingle_sets(docs: DataFrame, shingle_words: int, bands: bool) -> DataFrame:
+    """(id, fp, set_id, n, hashes) of texts with words: the distinct shingles or, with `bands`, their keys. docs: id, text."""
     small_batches(docs.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = _multipliers()
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 every = shingle_hashes(text, shingle_words)
                 own = np.unique(every)
                 if len(own):
-                    first = len(own) if share is None else len(own) - math.ceil(share * len(own) - 1e-9) + 1 + len(own) // COMMON
-                    rows.append((i, signed(majority(every)), signed(xxhash.xxh64_intdigest(own.tobytes(), HASH_SEED)), len(own), own[:first].view(np.int64)))
+                    rows.append((i, signed(majority(every)), signed(xxhash.xxh64_intdigest(own.tobytes(), HASH_SEED)), len(own), band_keys(own, by) if bands else own.view(np.int64)))
             columns = [pa.array([r[c] for r in rows], schema.field(c).type) for c in range(5)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -232,40 +249,43 @@ def _shingle_sets(docs: DataFrame, shingle_words: int, share: float | None) -> D
 def alike_links(docs: DataFrame, groups: DataFrame, similarity: float, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(src, dst): links of the groups that hold texts of at least this Jaccard similarity; docs: id, text; groups: fp, label.
 
-    Only pairs in different groups are verified, first against the smallest set of each shingle, then the rest.
+    Texts meet on the keys of BANDS bands. Only pairs in different groups are verified, first against the smallest set of each key, then
+    the rest. A pair whose fingerprints are FAR_BITS or more apart is not verified: at 0.8 the distance is about 10, with a deviation of 3.
     """
-    sets = _shingle_sets(docs, shingle_words, similarity).join(groups, "fp").groupBy("set_id", "label").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-    by_key = Window.partitionBy("key")
-    keyed = sets.select(F.struct("set_id", "id").alias("at"), "label", "n", F.explode("hashes").alias("key"))
+    sets = _shingle_sets(docs, shingle_words, True).join(groups, "fp").groupBy("set_id", "label", "fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+    keyed = written(sets.select(F.struct("set_id", "id").alias("at"), "label", "n", "fp", F.explode("hashes").alias("key")), "band-keys")
 
     def mixed(rows: DataFrame, name: str) -> DataFrame:
         """The rows of keys that hold several groups."""
-        several = F.min("label").over(by_key) < F.max("label").over(by_key)
-        return written(rows.withColumn("several", several).where("several").drop("several"), name)
+        several = rows.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("key")
+        return written(rows.join(several, "key"), name)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """(src, dst) labels of the pairs (a, la, b, lb) of sets that are similar enough; a, b: set_id and an id that has it."""
-        often = pairs.groupBy("a", "la", "b", "lb").agg(F.count("*").alias("shared"), F.min("least").alias("least"))
-        pairs = written(often.where("shared > least div %d" % COMMON).select("a", "la", "b", "lb"), f"{name}-pairs")
+        pairs = written(pairs.distinct(), f"{name}-pairs")
         ends = written(pairs.select("a.id").union(pairs.select("b.id")).distinct(), f"{name}-ends")
-        full = written(_shingle_sets(docs.join(ends, "id", "left_semi"), shingle_words, None).groupBy("set_id").agg(F.first("hashes").alias("hashes")), f"{name}-sets")
+        full = written(_shingle_sets(docs.join(ends, "id", "left_semi"), shingle_words, False).groupBy("set_id").agg(F.first("hashes").alias("hashes")), f"{name}-sets")
         both = pairs.join(full.select(F.col("set_id").alias("i"), F.col("hashes").alias("x")), F.col("a.set_id") == F.col("i")).join(full.select(F.col("set_id").alias("j"), F.col("hashes").alias("y")), F.col("b.set_id") == F.col("j"))
-        shared = F.size(F.array_intersect("x", "y"))
-        good = shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9
+        both = both.withColumn("shared", F.size(F.array_intersect("x", "y")))
+        good = F.col("shared") >= F.lit(similarity) * (F.size("x") + F.size("y") - F.col("shared")) - 1e-9
         return written(both.where(good).select(F.col("la").alias("src"), F.col("lb").alias("dst")).distinct(), name)
 
-    near = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - 1e-9
-    keyed = mixed(keyed, "shared-shingles")
-    low = F.min(F.struct("at", "label", "n")).over(by_key)
-    star = keyed.withColumn("low", low).where((F.col("low.label") != F.col("label")) & near(F.col("n"), F.col("low.n")))
-    found = verified(star.select(F.col("low.at").alias("a"), F.col("low.label").alias("la"), F.col("at").alias("b"), F.col("label").alias("lb"), F.least("n", "low.n").alias("least")), "star-links")
+    def near(x: str, y: str) -> Column:
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m) - 1e-9) & (F.bit_count(F.col(f"{x}.fp").bitwiseXOR(F.col(f"{y}.fp"))) < FAR_BITS)
+
+    pair = [F.col(f"{s}.{c}").alias(n) for s, n in (("x", "a"), ("y", "b")) for c, n in (("at", n), ("label", f"l{n}"))]
+    keyed = mixed(keyed, "shared-keys")
+    low = keyed.groupBy("key").agg(F.min(F.struct("at", "label", "n", "fp")).alias("low")).select("key", "low.*").alias("x")
+    y = keyed.alias("y")
+    star = low.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & near("x", "y"))
+    found = verified(star.select(*pair), "star-links")
     joined = connected_components(found).checkpoint()
     labelled = keyed.join(joined, keyed.label == joined.node, "left").drop("node").withColumn("label", F.coalesce("component", "label")).drop("component")
-    rest = mixed(labelled, "apart-shingles")
-    a, b = rest.alias("a"), rest.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & near(F.col("a.n"), F.col("b.n")))
-    later = verified(met.select(F.col("a.at").alias("a"), F.col("a.label").alias("la"), F.col("b.at").alias("b"), F.col("b.label").alias("lb"), F.least("a.n", "b.n").alias("least")), "later-links")
-    return found.unionByName(later)
+    rest = mixed(labelled, "apart-keys")
+    x, y = rest.alias("x"), rest.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near("x", "y"))
+    return found.unionByName(verified(met.select(*pair), "later-links"))
 
 
 def one_of_each_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, jaccard: float | None = None) -> DataFrame:
