@@ -40,7 +40,8 @@ def q8_0(values: np.ndarray) -> bytes:
     scale = (np.abs(x).max(axis=1) / np.float32(127)).astype(np.float32)
     inverse = np.where(scale > 0, np.float32(1) / np.where(scale > 0, scale, np.float32(1)), np.float32(0)).astype(np.float32)
     y = x * inverse[:, None]
-    q = (np.sign(y) * np.floor(np.abs(y) + np.float32(0.5))).astype(np.int8)
+    whole = np.floor(np.abs(y))
+    q = (np.sign(y) * (whole + (np.abs(y) - whole >= np.float32(0.5)))).astype(np.int8)  # the remainder is exact, the sum with a half is not
     out = np.empty((len(x), 2 + Q8_BLOCK), dtype=np.uint8)
     out[:, :2] = scale.astype("<f2").view(np.uint8).reshape(-1, 2)
     out[:, 2:] = q.view(np.uint8)
@@ -50,10 +51,13 @@ def q8_0(values: np.ndarray) -> bytes:
 def mxfp4_repacked(weights: np.ndarray, scales: np.ndarray) -> bytes:
     """Rows of packed nibbles (two neighbours in a byte, the first low) and block scales as 17-byte blocks: scale, then
     bytes that pair value i (low) with value i + 16 (high)."""
-    rows = weights.reshape(len(weights), -1, 16)
-    values = np.stack([rows & 15, rows >> 4], axis=3).reshape(*rows.shape[:2], 32)
-    packed = values[:, :, :16] | values[:, :, 16:] << 4
-    return np.concatenate([scales.reshape(*rows.shape[:2], 1), packed], axis=2).astype(np.uint8).tobytes()
+    halves = weights.astype(np.uint8).reshape(len(weights), -1, 2, 8)  # bytes of values 0 to 15 and 16 to 31
+    low, high = halves[:, :, 0], halves[:, :, 1]
+    out = np.empty((*low.shape[:2], MXFP4_BLOCK), dtype=np.uint8)
+    out[:, :, 0] = scales.reshape(low.shape[:2])
+    out[:, :, 1::2] = low & 15 | high << 4  # values of even places
+    out[:, :, 2::2] = low >> 4 | high & 0xF0
+    return out.tobytes()
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

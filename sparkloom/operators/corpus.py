@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranges import ranged_sums
+
 #: What sends a line to the structured pool; fixed value.
 STRUCTURED = r"(?i)(\bjson\b|\byaml\b|\bxml\b|\bschema\b|\bapi\b|tool call|function call|arguments|markdown table|\|[^\n]+\|)"
 
@@ -64,12 +66,7 @@ def interleaved(items: DataFrame, category: str, order: list[str], tokens: str,
 
 def running_total(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """Inclusive running sum over all rows in a total order, by ranges and then over the ranges' totals."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    inner = placed.withColumn("__sum", F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    totals = inner.groupBy("__part").agg(F.sum(value).alias("__total"))
-    base = totals.withColumn("__base", F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__base")
-    return inner.join(F.broadcast(base), "__part").withColumn(name, F.col("__sum") + F.col("__base")).drop("__part", "__sum", "__base")
+    return ranged_sums(rows, order, value, 0).withColumnRenamed("__sum", name)
 
 
 def stage_counts(sequence: DataFrame, category: str, tokens: str, total: str, stages: dict[str, int]) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.ranges import ranged_sums
+
 
 def weighted_mean(value: str, weight: str) -> Column:
     return F.sum(F.col(value) * F.col(weight)) / F.sum(weight)
@@ -32,13 +34,7 @@ def value_positions(rows: DataFrame, value: str, group: list[str] | None = None)
     if group:
         w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = counts.repartitionByRange(parts, value).withColumn("__part", F.spark_partition_id())
-    w = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inner = placed.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    totals = inner.groupBy("__part").agg(F.sum("n").alias("__total"))
-    base = totals.withColumn("__base", F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(F.broadcast(base.select("__part", "__base")), "__part").select(value, "n", (F.col("before") + F.col("__base")).alias("before"))
+    return ranged_sums(counts, [value], "n", -1).select(value, "n", F.col("__sum").alias("before"))
 
 
 def average_ranks(rows: DataFrame, value: str) -> DataFrame:

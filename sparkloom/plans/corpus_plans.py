@@ -19,7 +19,7 @@ LIMIT = 200_000
 STAGES = {"s1": 4_000, "s2": 12_000, "s3": 30_000}
 TARGET = 32_000
 
-_POOL = r"(?i)(\bjson\b|\byaml\b|\bxml\b|\bschema\b|\bapi\b|tool call|function call|arguments|markdown table|\|[^\n]+\|)"
+_POOL = C.STRUCTURED
 _LINES = "select doc_id, lang, trim(unnest(string_split(text, chr(10))), ' ' || chr(9)) as line from documents"
 
 

@@ -125,9 +125,9 @@ def three_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("nation", "p", rank(F.desc("r"), "nation").alias("rank_r"), rank(F.desc("i"), F.desc("r"), "nation").alias("rank_i"), rank(F.desc("p"), F.desc("i"), F.desc("r"), "nation").alias("rank_p"))
 
 
-@query("""select l_returnflag as flag, l_linestatus as status, sum(l_quantity) as sum_qty, round(sum(l_extendedprice), 2) as sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_discounted, round(avg(l_discount), 9) as avg_discount, count(*) as n
+@query("""select l_returnflag as flag, l_linestatus as status, sum(l_quantity) as sum_qty, round(sum(l_extendedprice), 2) as sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_discounted, round(avg(l_discount), 9) as avg_discount, round(sum(l_extendedprice * l_discount) / sum(l_extendedprice), 9) as discount_share, count(*) as n
   from lineitem where l_shipdate <= timestamp '1998-09-02 00:00:00' group by all""")
 def ratio_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
     price = F.col("l_extendedprice")
-    return rows.groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(price), 2).alias("sum_base"), F.round(F.sum(price * (1 - F.col("l_discount"))), 2).alias("sum_discounted"), F.round(F.avg("l_discount"), 9).alias("avg_discount"), F.count("*").alias("n"))
+    return rows.groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")).agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(price), 2).alias("sum_base"), F.round(F.sum(price * (1 - F.col("l_discount"))), 2).alias("sum_discounted"), F.round(F.avg("l_discount"), 9).alias("avg_discount"), F.round(S.weighted_mean("l_discount", "l_extendedprice"), 9).alias("discount_share"), F.count("*").alias("n"))
