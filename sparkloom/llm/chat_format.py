@@ -10,8 +10,8 @@ texts, so the output reads back exactly:
 character of each control string of this or another common template, so no text can open or close a turn. Only the
 texts of assistant turns are under the loss mask.
 
-A conversation of any length is collected in two steps (CHUNK turns at a time, then the chunks), so a
-conversation that holds a large share of all turns is sorted by many tasks and only its few formatted chunks meet.
+A conversation is collected in two steps (CHUNK turns at a time, then the chunks), so one that holds a large share of all turns
+is sorted and escaped by many tasks. Its merged turns then meet in one row, since its output is one string, of at most 2 GB.
 """
 
 from __future__ import annotations
@@ -36,32 +36,37 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def _merge(turns: Column) -> Column:
-    """array<struct<role, body>>: runs of one role as one element, bodies joined by NEXT."""
-    empty = F.expr("cast(array() as array<struct<role:string,body:string>>)")
+def _merged(rows: DataFrame, turns: Column) -> DataFrame:
+    """conv_id, the other columns but `turns`, and turns array<struct<role, body>>: runs of one role as one element, bodies joined by NEXT.
 
-    def add(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last.role.alias("role"), F.concat(last.body, F.lit(NEXT), t.body).alias("body"))
-        begun = F.concat(done, F.array(F.struct(t.role.alias("role"), t.body.alias("body"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)).role == t.role), F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(begun)
+    Arrays are exploded as one element, so that each is made once and not for each turn that looks at it; the work is linear.
+    """
+    kept = [c for c in rows.columns if c != "turns"]
+    rows = rows.select(*kept, F.explode(F.array(turns)).alias("all"))
+    begins = lambda i: (i == 0) | (F.get("all", i).role != F.get("all", i - 1).role)
+    rows = rows.select(*kept, "all", F.explode(F.array(F.filter(F.sequence(F.lit(0), F.size("all") - 1), begins))).alias("starts"))
+
+    def run(start: Column, k: Column) -> Column:
+        stop = F.coalesce(F.get("starts", k + 1), F.size("all"))
+        bodies = F.transform(F.slice("all", start + 1, stop - start), lambda t: t.body)
+        return F.struct(F.get("all", start).role.alias("role"), F.array_join(bodies, NEXT).alias("body"))
 
-    return F.aggregate(turns, empty, add)
+    return rows.select(*kept, F.transform("starts", run).alias("turns"))
 
 
 def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(conv_id, formatted) for each conversation.
 
-    Turns are sorted by (turn, role, text), so ties have one order; a null turn comes first, null role and text are
+    Turns are sorted by (turn, role, text) as they came, before escaping, so ties have one order; a null turn comes first, null role and text are
     empty, a null conv_id is a conversation of its own, repeated rows are turns each. An empty table gives no rows.
     Other columns are not read.
     """
-    one = F.struct(F.col("t"), F.col("role"), F.col("body"))
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("t"), escaped(F.coalesce(F.col(role).cast("string"), F.lit(""))).alias("role"), escaped(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("body"))
-    part = rows.groupBy("conv_id", F.floor(F.col("t") / chunk).alias("part")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    part = part.select("conv_id", "part", _merge(F.col("turns")).alias("turns"))
-    whole = part.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "turns"))).alias("parts"))
-    merged = whole.select("conv_id", _merge(F.flatten(F.transform("parts", lambda p: p.turns))).alias("turns"))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("t"), said(role).alias("role"), said(text).alias("text"))
+    part = rows.groupBy("conv_id", F.floor(F.col("t") / chunk).alias("part")).agg(F.sort_array(F.collect_list(F.struct("t", "role", "text"))).alias("turns"))
+    part = _merged(part, F.transform("turns", lambda t: F.struct(escaped(t.role).alias("role"), escaped(t.text).alias("body"))))
+    whole = part.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "turns"))).alias("turns"))
+    merged = _merged(whole, F.flatten(F.transform("turns", lambda p: p.turns)))
     return merged.select("conv_id", F.array_join(F.transform("turns", lambda t: F.concat(F.lit(TURN), t.role, F.lit(TEXT), t.body, F.lit(END))), "").alias("formatted"))
 
 
