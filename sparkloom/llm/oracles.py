@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm.quality_rules import INSULT_SHARE, INSULTS
+from sparkloom.llm.quality_rules import BEGINNINGS, INSULT_SHARE, INSULTS, LEAST_DOCUMENTS, LEAST_HITS, LIFT, MORE_DOCUMENTS, MOST_DENSE, TOXIC_SHARE
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CONTROLS = r"(<\||\[/?INST\]|</?s>|<</?SYS>>)"
@@ -27,6 +27,8 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from r group by conv_id
 """
 
+_LOW = "trim(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?\"''()[]')"
+_LENGTHS = ", ".join(f"({k})" for k in BEGINNINGS)
 _INSULTS = ", ".join(f"'{w.decode()}'" for w in sorted(INSULTS))
 
 QUALITY = rf"""
@@ -39,10 +41,18 @@ b as (select w.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(list
   cast(len(lines) as bigint) as n_lines, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
   len(list_filter(words, lambda x: ends_with(x, '!!'))) as shouts, len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) as lettered,
   len(list_filter(words, lambda x: trim(lower(x), '.,;:!?"''()[]') in ({_INSULTS}))) as insults from w left join rep using (doc_id)),
-f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b)
+known as (select doc_id, max(toxic) as toxic from labels where doc_id is not null and toxic is not null group by doc_id),
+lab as (select row_number() over () as d, toxic <> 0 as bad, n_words, words from b join known using (doc_id) join w using (doc_id) where n_words > 0),
+tot as (select count(*) filter (bad) as n1, count(*) filter (not bad) as n0 from lab),
+pre as (select d, bad, n_words, x[:k] as p, count(*) as n from (select d, bad, n_words, {_LOW.format("unnest(words)")} as x from lab), (values {_LENGTHS}) o(k) where length(x) >= k group by d, bad, n_words, x[:k]),
+den as (select p, bad, least({MOST_DENSE}, n * 1000000 // n_words) as dense from pre),
+lex as (select p from (select p, count(*) filter (bad) as h1, count(*) filter (not bad) as h0, coalesce(sum(dense) filter (bad), 0) as d1, coalesce(sum(dense) filter (not bad), 0) as d0 from den group by p), tot
+  where h1 >= {LEAST_DOCUMENTS} and d1 * n0 >= d0 * n1 * {LIFT} and h1 * n0 >= h0 * n1 * {MORE_DOCUMENTS}),
+hit as (select x.i as d, count(*) as hits from (select doc_id as i, unnest(words) as v from w) x where exists (select 1 from lex where starts_with({_LOW.format("x.v")}, p)) group by x.i),
+f as (select *, coalesce(hits, 0) as toxic_hits, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from b left join hit on hit.d = b.doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or 10 * n_symbols > word_chars or word_chars < 2 * n_words or word_chars > 20 * n_words or 10 * n_dup_lines > 5 * n_lines or 100 * n_repeat_words > 45 * n_words or 10 * shouts > n_words or 2 * lettered < n_words
-  or (insults > 0 and {INSULT_SHARE} * insults >= n_words)) as kept
+  or (insults > 0 and {INSULT_SHARE} * insults >= n_words) or (toxic_hits >= {LEAST_HITS} and {TOXIC_SHARE} * toxic_hits >= n_words)) as kept
 from f
 """
 

@@ -15,7 +15,7 @@ from sparkloom.llm.lm_scoring import cross_entropy_difference
 from sparkloom.llm.oracles import ORACLES as ORACLES
 from sparkloom.llm.packing import pack_documents
 from sparkloom.llm.pii import personal_data, span_digest
-from sparkloom.llm.quality_rules import quality_rules
+from sparkloom.llm.quality_rules import quality_rules, toxic_lexicon
 from sparkloom.llm.shared import scratch_path
 from sparkloom.llm.simhash_dedup import simhash_components
 from sparkloom.llm.warc import round_trip
@@ -85,7 +85,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, lexicon=toxic_lexicon(docs, table(spark, sf_dir, "labels")))
 
 
 @query("op10_license_scan")

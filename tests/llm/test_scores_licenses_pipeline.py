@@ -14,7 +14,7 @@ import corpus_pipeline
 from sparkloom.llm import oracles
 from sparkloom.llm.license_scan import TEMPLATES, Scorer, document_frequencies, scan_licenses, terms, translated
 from sparkloom.llm.lm_scoring import DIRICHLET, cross_entropy_difference
-from sparkloom.llm.quality_rules import RULES, keep_good, quality_rules, rule_order
+from sparkloom.llm.quality_rules import RULES, keep_good, quality_rules, rule_order, toxic_lexicon
 from sparkloom.llm.simhash_dedup import fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -74,6 +74,7 @@ def test_quality_counts_equal_sql(spark, tmp_path):
     df.coalesce(1).write.parquet(f"{tmp_path}/d")
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet' where doc_id is not null")
+    con.execute("create view labels as select 0 as doc_id, 0 as toxic where false")
     got = quality_rules(df.withColumn("n_words", F.lit(1)).withColumn("kept", F.lit(1)))
     names = got.columns
     rel = con.execute(oracles.QUALITY)
@@ -179,7 +180,8 @@ def test_pipeline_stages(spark):
         seen.append({r.doc_id: r for r in out.collect()})
         now = out
     first, lines, near, clean = seen
-    verdict = {r.doc_id: r.kept for r in quality_rules(docs).collect()}
+    lexicon = toxic_lexicon(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    verdict = {r.doc_id: r.kept for r in quality_rules(docs, lexicon=lexicon).collect()}
     assert set(first) == {d for d, kept in verdict.items() if kept}
     assert set(lines) == set(first) and all(len(lines[d].text) <= len(first[d].text) and lines[d].n_chars == len(lines[d].text) for d in lines)
     often = Counter(x for r in lines.values() for x in set(r.text.lower().split("\n")) if len(x.split()) >= 8)
