@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -87,3 +87,11 @@ def chunks_along_rows(shape_rows: int, parts: int) -> list[tuple[int, int]]:
         raise ValueError(f"{shape_rows} rows do not divide into {parts} parts")
     size = shape_rows // parts
     return [(p * size, size) for p in range(parts)]
+
+
+def consecutive(rows: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """group, order and value of each row with those of the next one of its group as next_*; the last row of a group has none and is left out."""
+    place = Window.partitionBy(*group).orderBy(*order)
+    after = F.lead(F.struct(*order, value)).over(place)
+    paired = rows.select(*group, *order, value, after.alias("__next")).where("__next is not null")
+    return paired.select(*group, *order, value, *(F.col(f"__next.{c}").alias(f"next_{c}") for c in (*order, value)))

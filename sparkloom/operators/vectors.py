@@ -123,3 +123,11 @@ def optimal_costs(rows: DataFrame, slots: str, survivors: list[int], costs: dict
 def unequal_positions(x: str | Column, y: str | Column) -> Column:
     """How many positions of two arrays differ."""
     return F.size(F.filter(F.zip_with(x, y, lambda a, b: ~a.eqNullSafe(b)), lambda d: d))
+
+
+def top_components(vector: str | Column, k: int) -> Column:
+    """The k largest entries of an array as structs (rank from 1, position from 0, value as double), ties by the smaller position; null entries do not count."""
+    c = F.col(vector) if isinstance(vector, str) else vector
+    placed = F.transform(c, lambda x, i: F.struct((-x.cast("double")).alias("less"), i.cast("long").alias("position")))
+    best = F.slice(F.sort_array(F.filter(placed, lambda x: x["less"].isNotNull())), 1, k)
+    return F.transform(best, lambda x, i: F.struct((i + 1).cast("long").alias("rank"), x["position"].alias("position"), (-x["less"]).alias("value")))

@@ -95,3 +95,11 @@ def sampled_and_tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def add_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = lambda keep: table(spark, sf_dir, "part").where(keep).groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n"))
     return merged_catalogs(brands("p_size <= 25"), brands("p_size > 48"))
+
+
+@query("""with o as (select o_custkey as customer, o_orderkey as order_key, o_totalprice as price, lead(o_orderkey) over w as next_key, lead(o_totalprice) over w as next_price
+  from orders window w as (partition by o_custkey order by o_orderkey)) select customer, order_key, next_key, next_price - price as change from o where next_key is not null""")
+def consecutive_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
+    both = M.consecutive(orders, ["customer"], ["key"], "price")
+    return both.select("customer", F.col("key").alias("order_key"), "next_key", (F.col("next_price") - F.col("price")).alias("change"))

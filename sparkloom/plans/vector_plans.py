@@ -76,3 +76,11 @@ def optimal_remap_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     costs = {(r.old, r.new): r.cost for r in nation_costs(spark, sf_dir).collect()}  # 25 nations
     found = V.optimal_costs(slot_rows(spark, sf_dir), "slots", survivors(spark, sf_dir), costs)
     return slot_rows(spark, sf_dir).groupBy("slots").agg(F.count("*").alias("rows")).join(found, "slots").select("slots", "rows", F.round("optimal_cost", 6).alias("optimal_cost"))
+
+
+@query("""with v as (select vec_id, unnest(range(0, len(embedding))) as position, unnest(embedding)::double as value from embeddings),
+  r as (select *, row_number() over (partition by vec_id order by value desc, position) as rank from v where value is not null)
+  select vec_id, rank, position, value from r where rank <= 5""")
+def top_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = F.explode(V.top_components("embedding", 5)).alias("x")
+    return table(spark, sf_dir, "embeddings").select("vec_id", best).select("vec_id", "x.rank", "x.position", "x.value")

@@ -169,3 +169,15 @@ def test_catalog_checks(spark):
 def test_scalars(spark):
     one = spark.range(1).select(X.git_blob_sha1(F.lit("hello\n")).alias("g"), X.without_suffix(F.lit("a.counts"), ".counts").alias("s"), X.is_hex(F.lit("ab" * 20), 40).alias("h"), X.forbidden(F.lit("an XID 31"), ["xid", "fault"]).alias("f"), shards.aligned(F.lit(4097), 4096).alias("a")).first()
     assert tuple(one) == ("ce013625030ba8dba906f756967f9e9ca394464a", "a", True, True, 8192)
+
+
+def test_top_components_and_consecutive_rows(spark):
+    from sparkloom.operators.matching import consecutive
+    from sparkloom.operators.vectors import top_components
+
+    df = spark.createDataFrame([(1, [1.0, 3.0, None, 3.0]), (2, []), (3, None)], "i int, v array<float>")
+    got = {r.i: r.x and [tuple(y) for y in r.x] for r in df.select("i", top_components("v", 2).alias("x")).collect()}
+    assert got == {1: [(1, 1, 3.0), (2, 3, 3.0)], 2: [], 3: None}
+    rows = spark.createDataFrame([("a", 2, 5.0), ("a", 1, None), ("b", 1, 1.0), ("a", 9, 6.0)], "g string, o int, v double")
+    assert sorted(tuple(r) for r in consecutive(rows, ["g"], ["o"], "v").collect()) == [("a", 1, None, 2, 5.0), ("a", 2, 5.0, 9, 6.0)]
+    assert consecutive(rows.limit(0), ["g"], ["o"], "v").collect() == []
