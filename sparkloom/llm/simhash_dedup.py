@@ -143,7 +143,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, n_pivots: int = PIVOTS,
     table = F.array(*(F.bit_count(fp.bitwiseXOR(F.lit(p))).cast("byte") for p in refs))
     keyed = distinct.select("fp", table.alias("pivot"), F.explode(F.array(*keys)).alias("key"))
     large = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("key", F.ceil(F.col("n") / tile).cast("int").alias("chunks"))
-    keyed = keyed.join(large, "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+    keyed = keyed.join(large.hint("merge"), "key").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     tiled = keyed.select("key", "fp", "pivot", "chunk", other.alias("other"))
     tiled = tiled.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).cast("byte").alias("side"), "fp", "pivot")
@@ -196,16 +196,16 @@ def simhash_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     component_id is the smallest doc_id in the connected group of fingerprints within max_bits of each other. Texts
     with the same fingerprint share a group; null, empty and blank texts have fingerprint zero and link like any
     other. Repeated rows each give a row, a null id takes its group's id and never names one; an empty table gives none.
-    Other columns are not read.
+    Other columns are not read. Its joins are by sort and merge: what they hold grows with the documents, and must not pass through the driver.
     """
     prints = written(fingerprints(docs, text, doc_id, shingle_words), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     distinct = written(distinct, "distinct-fingerprints")
     groups = connected_components(links(distinct.select("fp"), max_bits))
-    member = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    member = distinct.join(groups.hint("merge"), distinct.fp == groups.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = member.join(named, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_print = member.join(named.hint("merge"), "component").select("fp", "component_id")
+    return prints.join(of_print.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _multipliers() -> np.ndarray:
